@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import packing, quality, tokens
+from lettermill.llm import mojibake, packing, quality, tokens
 from lettermill.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged_values(table(spark, sf_dir, "manifest"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_stats": p9_stats}
 
 SQL: dict[str, str] = {}
