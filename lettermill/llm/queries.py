@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import lookalike, mojibake, packing, quality, tokens
+from lettermill.llm import entities, lookalike, mojibake, packing, quality, tokens
 from lettermill.session import table
 
 
@@ -18,6 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.imitations(table(spark, sf_dir, "manifest"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.linked_rows(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "address_book"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_stats": p9_stats}
 
 SQL: dict[str, str] = {}
