@@ -106,7 +106,7 @@ def pointers(keys: DataFrame) -> DataFrame:
     within = local.where("first < seq").select(F.col("seq").alias("src"), F.col("first").alias("dst"))
     bits = shards.bit_length() - 1
     quotient = F.shiftrightunsigned("hi", 64 - bits) if bits else F.lit(0).cast("bigint")
-    across = local.where("first = seq").select("hi", "lo", "seq").repartition(shards, quotient).mapInArrow(_first_in_shard(0), _EDGE)
+    across = local.where("first = seq").select("hi", "lo", "seq").repartition(shards, quotient).mapInArrow(_first_in_shard(bits), _EDGE)
     return within.unionByName(across)
 
 
