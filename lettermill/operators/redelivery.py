@@ -114,17 +114,20 @@ def reduce_pointers(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """One pointer per row: the forest whose roots are the smallest rows of the components.
 
     ``edges`` point from larger to smaller rows. A row with several pointers keeps the smallest target; its
-    other targets get a pointer to that target instead. Each round lowers targets and adds no edge; it stops
-    when no row has two. Chains through other rows need about as many rounds as they have turns, usually three.
+    other targets get a pointer to that target instead, and every pointer is moved on to where its target
+    points. Both lower the targets and add no edge; it ends when no row has two pointers. Chains shrink by
+    half each round, so the rounds grow as the logarithm of the longest.
     """
     edges = cut(edges.distinct())
     for _ in range(rounds):
-        low = edges.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
-        many = cut(low.where("n > 1").select("src", "low"))
+        low = cut(edges.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")))
+        many = low.where("n > 1").select("src", "low")
         if many.isEmpty():
-            return edges
+            return low.select("src", F.col("low").alias("dst"))
         spread = edges.join(many, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        edges = cut(low.select("src", F.col("low").alias("dst")).unionByName(spread).distinct())
+        parents = low.select(F.col("src").alias("via"), F.col("low").alias("next"))
+        moved = low.select("src", F.col("low").alias("dst")).unionByName(spread).join(parents, F.col("dst") == F.col("via"), "left")
+        edges = cut(moved.select("src", F.coalesce("next", "dst").alias("dst")).distinct())
     raise RuntimeError(f"pointers did not settle in {rounds} rounds")
 
 
