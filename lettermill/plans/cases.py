@@ -145,7 +145,7 @@ def convert(spark: SparkSession, job: Job, case_dir: str, mode: str = "fast", ti
     planned = cut(D.decide(todo, stored, existing, filter_active=False, resume=resume)) if not active else None
     heads = None
     if active:
-        first = cut(D.decide(todo.withColumn("matched", F.lit(False)), stored, existing, True, resume))
+        first = cut(D.decide(todo.withColumn("matched", F.lit(False)), stored, existing, True, resume).drop("matched"))
         heads = messages.read_headers(first.where("decision = 'filter'").select("eml_path"), timeout)
         heads = cut(participants.matching(heads, "participants", filters).withColumn("parse_failed", F.col("parse_error") != ""))
         known = heads.select("eml_path", "matched", "parse_failed")
