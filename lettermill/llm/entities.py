@@ -41,6 +41,8 @@ BOOK_PART = 50_000
 #: Rows that a spelling needs before a profile takes it over, and the share of its open names it must explain.
 LEAST_SUPPORT, LEAST_SHARE = 2, 0.6
 MOST_ROUNDS = 8
+#: Letters of a word beyond which slips aren't looked for, and characters of a mailbox beyond which it has no name.
+LONGEST_WORD, LONGEST_MAILBOX = 30, 2000
 
 _ADDRESS = re.compile(r"\s*<[^<>]*>\s*$", re.S)
 _BARE = re.compile(r"^\S+@\S+$")
@@ -57,6 +59,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 def written_name(item: str) -> str:
     """The name of a mailbox as written, without the address and without quotes around it."""
+    if len(item) > LONGEST_MAILBOX:
+        return ""
     name = _ADDRESS.sub("", item).strip()
     if len(name) > 1 and name[0] == name[-1] == '"':
         name = name[1:-1].replace('""', '"').strip()
@@ -82,6 +86,8 @@ class Token:
 
 def tokens(name: str) -> list[Token]:
     """Tokens of a written name in order, without titles, legal forms, notes and departments."""
+    if len(name) > LONGEST_MAILBOX:
+        return []
     name = _DEPARTMENT.sub("", _NOTE.sub("", name))
     name = _FORM.sub(lambda m: m.group().lower(), _DOTTED.sub(lambda m: _squeeze(m.group()), name))
     spaced = " " in name.strip()
@@ -131,7 +137,8 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def slips_allowed(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 6 else 2
+    """Short words must be exact, and so must words longer than any name."""
+    return 0 if length < 4 or length > LONGEST_WORD else 1 if length < 6 else 2
 
 
 def deletions(word: str, most: int) -> set[str]:
@@ -427,7 +434,8 @@ def linked_rows(rows: DataFrame, book: DataFrame, model: mojibake.Model | None =
 
     A spelling counts as another if it differs in more than letter case and enclosing quotes; damage in the
     sense of the wrong encoding or look-alike letters is repaired first. Names that fit two entries equally
-    well are linked to neither; addresses decide nothing. Null, empty and address-only items have no name.
+    well are linked to neither; addresses decide nothing. Null, empty and address-only items have no name, nor
+    have mailboxes of more than 2000 characters; words of more than 30 letters must be spelt exactly.
     Repeated rows give one row; an empty table or book gives none; other columns are ignored.
     """
     ship(rows.sparkSession)
