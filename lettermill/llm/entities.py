@@ -263,7 +263,7 @@ class Matcher:
         cost, slips, strong, given, spare = 0.0, 0.0, False, not p.person, None
         for t in sorted(name, key=lambda t: (t.kind != "word", -len(t.text))):
             if t.kind == "initials" and p.person:
-                inner = [i for i in sorted(left) if i == 0 or i in p.weak]
+                inner = [i for i in sorted(left) if i in p.weak or i + 1 < len(p.parts)]
                 if len(t.text) <= len(inner) and all(p.parts[i][0] == c for i, c in zip(inner, t.text, strict=False)):
                     left -= set(inner[: len(t.text)])
                     cost, given = cost + 0.5, True
