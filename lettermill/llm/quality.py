@@ -33,7 +33,10 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CHUNK = re.compile(r"\S+")
 _PLAIN = re.compile(r"[\"'“„«(¿¡\[]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[.,;:!?…\"'”»)\]]*\Z")
 _KANA = re.compile(r"[ぁ-ヿ㐀-鿿가-힯฀-๿]")
-_PUNCT = frozenset(".,;:!?…\"'“”„«»‘’()¿¡-–—。、，！？「」・%&/")
+_DIGIT = re.compile(r"\d")
+#: Neither letter, digit, space nor common punctuation.
+_SYMBOL = re.compile("[^\\w\\s.,;:!?…\"'“”„«»‘’()¿¡\\-–—。、，！？「」・%&/]|_")
+COUNTS = ("lines", "visible", "words", "letters", "common", "kana", "digits", "symbols", "ended", "bullets", "cells", "chunks", "plain", "run", "ends")
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation_share", "common_word_share", "bullet_share", "cell_share", "plain_run", "words_per_line")
 #: (name, votes prose at, votes other at): a statistic on the prose side of the first votes prose, beyond the second other.
@@ -51,38 +54,54 @@ FUNCTIONS = (
 )
 
 
-def measure(lines: list[str], common: frozenset[str]) -> dict[str, float]:
-    """Statistics of some non-blank lines."""
+def count(lines: list[str], common: frozenset[str]) -> dict[str, float]:
+    """Counts over some non-blank lines; those of several blocks add up, the longest run aside."""
     text = " ".join(lines)
-    visible = sum(map(len, _CHUNK.findall(text)))
     words, chunks = _WORD.findall(text), _CHUNK.findall(text)
-    kana = len(_KANA.findall(text))
-    digits = sum(c.isdigit() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace() or c in _PUNCT) for c in text)
     run = best = plain = 0
     for c in chunks:
         if _PLAIN.match(c):
             run += 1
             plain += 1
-            best = max(best, run)
         else:
-            run = 0
-    n = max(1, len(lines))
+            best, run = max(best, run), 0
     return {
-        "n_words": len(words),
-        "mean_word_length": sum(map(len, words)) / max(1, len(words)),
-        "symbol_ratio": symbols / max(1, visible),
-        "digit_ratio": digits / max(1, visible),
-        "end_punctuation_share": sum(bool(_END.search(x)) for x in lines) / n,
-        "common_word_share": sum(w.lower() in common for w in words) / max(1, len(words)),
-        "bullet_share": sum(bool(_BULLET.match(x)) for x in lines) / n,
-        "cell_share": sum(len(_CELLS.findall(x.strip())) >= 2 for x in lines) / n,
-        "plain_run": best,
-        "words_per_line": len(words) / n,
-        "plain_share": plain / max(1, len(chunks)),
-        "kana_share": kana / max(1, visible),
-        "visible": visible,
-        "ends": float(bool(_END.search(lines[-1]))) if lines else 0.0,
+        "lines": len(lines),
+        "visible": sum(map(len, chunks)),
+        "words": len(words),
+        "letters": sum(map(len, words)),
+        "common": sum(w in common for w in map(str.lower, words)),
+        "kana": len(_KANA.findall(text)),
+        "digits": len(_DIGIT.findall(text)),
+        "symbols": len(_SYMBOL.findall(text)),
+        "ended": sum(bool(_END.search(x)) for x in lines),
+        "bullets": sum(bool(_BULLET.match(x)) for x in lines),
+        "cells": sum(len(_CELLS.findall(x.strip())) >= 2 for x in lines),
+        "chunks": len(chunks),
+        "plain": plain,
+        "run": max(best, run),
+        "ends": int(bool(_END.search(lines[-1]))),
+    }
+
+
+def rates(c: dict[str, float]) -> dict[str, float]:
+    """Statistics from counts."""
+    visible, words, lines = max(1, c["visible"]), max(1, c["words"]), max(1, c["lines"])
+    return {
+        "n_words": c["words"],
+        "mean_word_length": c["letters"] / words,
+        "symbol_ratio": c["symbols"] / visible,
+        "digit_ratio": c["digits"] / visible,
+        "end_punctuation_share": c["ended"] / lines,
+        "common_word_share": c["common"] / words,
+        "bullet_share": c["bullets"] / lines,
+        "cell_share": c["cells"] / lines,
+        "plain_run": c["run"],
+        "words_per_line": c["words"] / lines,
+        "plain_share": c["plain"] / max(1, c["chunks"]),
+        "kana_share": c["kana"] / visible,
+        "visible": c["visible"],
+        "ends": c["ends"],
     }
 
 
@@ -136,15 +155,16 @@ def _measure_batches(common: frozenset[str]) -> object:
             voted = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                parts = blocks(text)
-                whole = measure([x for b in parts for x in b], common)
+                own, whole = [], dict.fromkeys(COUNTS, 0)
+                for b in blocks(text):
+                    c = count(b, common)
+                    own.append({"visible": c["visible"], "votes": [k * 3 + v for k, v in enumerate(vote(rates(c), len(b)))]})
+                    for k, v in c.items():
+                        whole[k] = max(whole[k], v) if k == "run" else whole[k] + v
+                voted.append(own)
+                whole = rates(whole)
                 for k, s in enumerate(STATISTICS):
                     stats[k].append(float(whole[s]))
-                own = []
-                for b in parts:
-                    m = measure(b, common)
-                    own.append({"visible": m["visible"], "votes": [k * 3 + v for k, v in enumerate(vote(m, len(b)))]})
-                voted.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(s, pa.float64()) for s in stats], pa.array(voted, kinds)], names=["doc_id", *STATISTICS, "blocks"])
 
     return run
