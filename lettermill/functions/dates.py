@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zoneinfo
 from datetime import UTC, datetime, timedelta
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,11 +100,8 @@ def month_length(y: Column, m: Column) -> Column:
 def _literal_map(pairs: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
-def zone_periods(spark: SparkSession, first: int = FIRST_YEAR - 1, last: int = LAST_YEAR + 1) -> DataFrame:
-    """Offset periods of every IANA zone between two years: (zone, periods), one row a zone.
-
-    About 600 rows whatever the data, made from the system's zone files.
-    """
+@cache
+def _zone_rows(first: int, last: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     rows = []
     for name in sorted(zoneinfo.available_timezones()):
         zone = zoneinfo.ZoneInfo(name)
@@ -123,7 +121,15 @@ def zone_periods(spark: SparkSession, first: int = FIRST_YEAR - 1, last: int = L
             at = nxt
         periods.append((begun * 1_000_000, int(end.timestamp()) * 1_000_000, offset(end) * 1_000_000))
         rows.append((name.lower(), periods))
-    return spark.createDataFrame(rows, "zone string, periods array<struct<since:bigint,until:bigint,off:bigint>>")
+    return rows
+
+
+def zone_periods(spark: SparkSession, first: int = FIRST_YEAR - 1, last: int = LAST_YEAR + 1) -> DataFrame:
+    """Offset periods of every IANA zone between two years: (zone, periods), one row a zone.
+
+    About 600 rows whatever the data, made once per process from the system's zone files.
+    """
+    return spark.createDataFrame(_zone_rows(first, last), "zone string, periods array<struct<since:bigint,until:bigint,off:bigint>>")
 
 def components(date: Column) -> Column:
     """Array of text components of a date spelling, or null if no spelling matches."""
