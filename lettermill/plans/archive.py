@@ -15,6 +15,7 @@ from lettermill.operators import ordering, participants, reconcile
 from lettermill.plans import cases
 from lettermill.schema import HEADER_LABELS, MANIFEST_FIELDS, SUMMARY_FIELDS
 from lettermill.session import table
+from lettermill.sources import files, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -372,3 +373,31 @@ def zip_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "pdf_files").where("pdf_path <> ''").groupBy(reconcile.path_slug(F.col("pdf_path")).alias("slug")).agg(F.countDistinct("pdf_path").alias("pdf_count"))
     both = table(spark, sf_dir, "pst_sources").select("slug").join(per, "slug", "full").withColumn("pdf_count", F.coalesce("pdf_count", F.lit(0)))
     return zips.totals(both.withColumn("status", F.when(F.col("pdf_count") > 0, "ok").otherwise("skipped")))
+
+
+@query(f"SELECT doc_id, 'ok' AS status, 'Message ' || doc_id AS subject, 'a.pdf;b; c.doc' AS attachments, trim(coalesce(text, ''), {_WS}) AS body FROM documents")
+def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw multipart messages made from the documents, parsed again."""
+    part = "--cut\nContent-Type: {0}; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    file = "--cut\nContent-Type: application/pdf\nContent-Disposition: {1}; filename=\"{0}\"\n\nx\n"
+    raw = F.concat(
+        F.lit("Subject: Message "), F.col("doc_id").cast("string"), F.lit("\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=cut\n\n"),
+        F.lit(part.format("text/html") + "<p>not shown</p>\n"), F.lit(part.format("text/plain")), TX.blank_if_null(F.col("text")),
+        F.lit("\n" + file.format("dir/a.pdf", "attachment") + file.format("b; c.doc", "inline") + file.format("no.pdf", "none") + "--cut--\n"),
+    )
+    got = messages.parse_content(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode(raw, "UTF-8").alias("content")))
+    return got.select(F.col("key").alias("doc_id"), "status", "subject", F.array_join("attachments", ";").alias("attachments"), "body")
+
+
+@query()
+def header_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact participants of raw headers made from the manifest."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), TX.sanitize_header(F.col(f"`{c}`")), F.lit("\n"))
+    raw = F.concat(line("From", "from"), line("To", "to"), line("Cc", "cc"), line("Bcc", "bcc"), F.lit("\n"))
+    got = messages.parse_content(_manifest(spark, sf_dir).select(F.col("seq").alias("key"), F.encode(raw, "UTF-8").alias("content")))
+    return got.select(F.col("key").alias("seq"), "status", F.array_join(F.array_sort("participants"), ",").alias("people"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.binary_digests(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))).select(F.col("path").alias("doc_id"), F.col("sha256").alias("digest"))
