@@ -41,6 +41,8 @@ BOOK_PART = 50_000
 #: Rows that a spelling needs before a profile takes it over, and the share of its open names it must explain.
 LEAST_SUPPORT, LEAST_SHARE = 2, 0.6
 MOST_ROUNDS = 8
+#: Learnt spellings and entries that the driver may hold; more is an error, never a cut.
+MOST_SPELLINGS, MOST_ENTRIES = 200_000, 2_000_000
 #: Letters of a word beyond which slips aren't looked for, and characters of a mailbox beyond which it has no name.
 LONGEST_WORD, LONGEST_MAILBOX = 30, 2000
 
@@ -385,7 +387,9 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _book_parts(book: DataFrame) -> list[list[Profile]]:
-    rows = [(r[0], r[1], r[2]) for r in book.where("entity_id is not null and display_name is not null").select("entity_id", "kind", "display_name").distinct().orderBy("entity_id", "display_name").toLocalIterator()]
+    rows = [(r[0], r[1], r[2]) for r in book.where("entity_id is not null and display_name is not null").select("entity_id", "kind", "display_name").distinct().orderBy("entity_id", "display_name").limit(MOST_ENTRIES + 1).toLocalIterator()]
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError("the address book is longer than MOST_ENTRIES")
     made = profiles_of(rows)
     return [made[k : k + BOOK_PART] for k in range(0, len(made), BOOK_PART)]
 
@@ -418,7 +422,10 @@ def linked_names(names: DataFrame, book: DataFrame) -> DataFrame:
         ranked = by_given.groupBy("token").agg(F.max(F.struct("k", "given")).alias("top"), F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
         sure = ranked.join(by_token, "token").join(counts, "token").where((F.col("open") >= LEAST_SUPPORT) & (F.col("top.k") >= 0.8 * F.col("open")) & (F.col("open") >= LEAST_SHARE * F.col("n")) & ((F.size("ks") == 1) | (F.col("ks")[F.least(F.lit(1), F.size("ks") - 1)] <= 0.7 * F.col("top.k"))))
         known = {p.parts[0] for profiles in parts for p in profiles if p.person}
-        new = {r[0]: {r[1]: int(r[2])} for r in sure.select("token", "top.given", "top.k").collect() if r[0] not in aliases and r[0] not in known}
+        learnt = sure.select("token", "top.given", "top.k").limit(MOST_SPELLINGS + 1).collect()
+        if len(learnt) > MOST_SPELLINGS:
+            raise ValueError("more spellings than MOST_SPELLINGS were learnt; raise LEAST_SUPPORT")
+        new = {r[0]: {r[1]: int(r[2])} for r in learnt if r[0] not in aliases and r[0] not in known}
         if not new:
             break
         aliases = aliases | new
