@@ -36,20 +36,23 @@ def summaries(manifest: DataFrame, emls: DataFrame, pdfs: DataFrame) -> DataFram
     slug = lambda path: F.when(path_slug(path) != "", path_slug(path)).otherwise(own)
     zero, one = F.lit(0), F.lit(1)
 
-    def facts(df: DataFrame, where: Column, key: Column, kind: str, disk: Column, rows: Column, ok: Column) -> DataFrame:
-        return df.select(key.alias("slug"), F.lit(kind).alias("kind"), where.alias("path"), disk.alias("disk"), rows.alias("rows"), ok.alias("ok"))
-
-    is_ok = (F.col("status") == "ok").cast("int")
-    parts = [
-        facts(emls.where(TX.has_suffix(F.col("eml_path"), ".eml")), F.col("eml_path"), path_slug(F.col("eml_path")), "eml", one, zero, zero),
-        facts(m.where("eml_path <> ''"), F.col("eml_path"), slug(F.col("eml_path")), "eml", zero, one, zero),
-        facts(pdfs.where(TX.has_suffix(F.col("pdf_path"), ".pdf")), F.col("pdf_path"), path_slug(F.col("pdf_path")), "pdf", one, zero, zero),
-        facts(m.where("pdf_path <> '' or status = 'ok'"), F.col("pdf_path"), slug(F.col("pdf_path")), "pdf", zero, one, is_ok),
-        facts(m, F.col("status"), slug(F.col("eml_path")), "row", zero, one, zero),
-    ]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    def fact(key: Column, kind: str, path: Column, disk: Column, rows: Column, ok: Column) -> Column:
+        return F.struct(key.alias("slug"), F.lit(kind).alias("kind"), path.alias("path"), disk.alias("disk"), rows.alias("rows"), ok.alias("ok"))
+
+    eml_path, pdf_path, status = F.col("eml_path"), F.col("pdf_path"), F.col("status")
+    is_ok = status == "ok"
+    # one pass over the manifest gives what it says about its message, its PDF and its status
+    said = F.array(
+        F.when(eml_path != "", fact(slug(eml_path), "eml", eml_path, zero, one, zero)),
+        F.when((pdf_path != "") | is_ok, fact(slug(pdf_path), "pdf", pdf_path, zero, one, is_ok.cast("int"))),
+        fact(slug(eml_path), "row", status, zero, one, zero),
+    )
+    union = (
+        m.select(F.explode(F.filter(said, lambda x: x.isNotNull())).alias("f"))
+        .unionByName(emls.where(TX.has_suffix(eml_path, ".eml")).select(fact(path_slug(eml_path), "eml", eml_path, one, zero, zero).alias("f")))
+        .unionByName(pdfs.where(TX.has_suffix(pdf_path, ".pdf")).select(fact(path_slug(pdf_path), "pdf", pdf_path, one, zero, zero).alias("f")))
+        .select("f.*")
+    )
     by_path = union.groupBy("slug", "kind", "path").agg(F.max("disk").alias("disk"), F.sum("rows").alias("rows"), F.sum("ok").alias("ok"))
     kind, path, disk, rows = F.col("kind"), F.col("path"), F.col("disk"), F.col("rows")
     total = lambda when, what: F.sum(F.when(when, what).otherwise(0)).cast("bigint")
@@ -85,6 +88,7 @@ def has_consistency_errors() -> Column:
 
 def issues() -> Column:
     """Texts of what is inconsistent, in a fixed order."""
+    # The sentences of the report.
     said = {
         "duplicate_eml_rows": "duplicate EML rows found.",
         "missing_pdfs_for_successful_rows": "successful manifest rows are missing PDFs.",

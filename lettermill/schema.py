@@ -15,6 +15,7 @@ MANIFEST = T.StructType([T.StructField(f, T.StringType(), False) for f in MANIFE
 #: The stored manifest has an ordinal, which a CSV file has only implicitly.
 STORED_MANIFEST = T.StructType([T.StructField("seq", T.LongType(), False), *MANIFEST.fields])
 
+# The counts of a validation, and those of them that mean an inconsistency.
 SUMMARY_FIELDS = (
     "total_eml_files", "total_pdf_files", "total_manifest_rows", "successful_rows", "failed_rows", "timeout_rows", "filtered_rows",
     "duplicate_eml_rows", "missing_pdfs_for_successful_rows", "eml_files_missing_manifest_rows", "manifest_eml_paths_missing_on_disk", "extra_pdf_files_not_referenced_by_manifest",
