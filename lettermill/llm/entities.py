@@ -419,8 +419,12 @@ def linked_names(names: DataFrame, book: DataFrame) -> DataFrame:
         # a spelling stands for a given name if that name is open to it wherever it occurs, and it is no name of its own
         by_given = still.select("name", "token", "given").distinct().groupBy("token", "given").agg(F.count("*").alias("k"))
         by_token = still.select("name", "token").distinct().groupBy("token").agg(F.count("*").alias("open"))
-        ranked = by_given.groupBy("token").agg(F.max(F.struct("k", "given")).alias("top"), F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
-        sure = ranked.join(by_token, "token").join(counts, "token").where((F.col("open") >= LEAST_SUPPORT) & (F.col("top.k") >= 0.8 * F.col("open")) & (F.col("open") >= LEAST_SHARE * F.col("n")) & ((F.size("ks") == 1) | (F.col("ks")[F.least(F.lit(1), F.size("ks") - 1)] <= 0.7 * F.col("top.k"))))
+        # where several given names are as open to it, one that shares letters with the spelling counts more
+        shared = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("token") - 2)), lambda i: F.contains("given", F.substr("token", i, F.lit(3)))) | F.startswith("given", F.substring("token", 1, 2))
+        weighed = by_given.withColumn("w", F.col("k") * F.when(shared, 1.5).otherwise(1.0))
+        ranked = weighed.groupBy("token").agg(F.max(F.struct("w", "k", "given")).alias("top"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
+        next_best = F.when(F.size("ws") > 1, F.col("ws")[1]).otherwise(0.0)
+        sure = ranked.join(by_token, "token").join(counts, "token").where((F.col("open") >= LEAST_SUPPORT) & (F.col("top.k") >= 0.8 * F.col("open")) & (F.col("open") >= LEAST_SHARE * F.col("n")) & (next_best <= 0.7 * F.col("top.w")))
         known = {p.parts[0] for profiles in parts for p in profiles if p.person}
         learnt = sure.select("token", "top.given", "top.k").limit(MOST_SPELLINGS + 1).collect()
         if len(learnt) > MOST_SPELLINGS:
