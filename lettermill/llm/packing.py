@@ -23,6 +23,8 @@ from lettermill.session import cut, ship
 #: Tokens that one window holds, about. Every window ends with one container that may stay part empty.
 WINDOW_TOKENS = 1 << 22
 MOST_CAPACITIES = 1000
+#: Windows that one task of the prefix sums takes.
+STRETCH = 4096
 
 SCHEMA = "pack_id bigint, container_id bigint, doc_id bigint, piece bigint, token_start bigint, tokens bigint"
 
@@ -124,6 +126,20 @@ def _pack_group(capacities: list[tuple[int, int]]) -> object:
     return run
 
 
+def totals_before(sums: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``before``: the sum of ``value`` over all earlier windows with the same keys.
+
+    Prefix sums run within stretches of windows, and once more over the stretches' totals, so no task sorts
+    all windows.
+    """
+    sums = sums.withColumn("stretch", F.floor(F.col("window") / STRETCH))
+    ends = sums.groupBy(*keys, "stretch").agg(F.sum(value).alias("whole"))
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("until", F.coalesce(F.sum("whole").over(earlier), F.lit(0))).drop("whole")
+    within = Window.partitionBy(*keys, "stretch").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.join(ends, [*keys, "stretch"]).withColumn("before", F.col("until") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("until", "stretch")
+
+
 def pack_sized(sized: DataFrame, capacities: list[tuple[int, int]], window_tokens: int = WINDOW_TOKENS, weights: DataFrame | None = None) -> DataFrame:
     """Containers for (doc_id, source, tokens) rows; see ``pack_documents``."""
     ship(sized.sparkSession)
@@ -142,13 +158,11 @@ def pack_sized(sized: DataFrame, capacities: list[tuple[int, int]], window_token
         shares = rows.select("source").distinct().join(w, "source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         whole = shares.agg(F.sum("w")).first()[0] or 1.0
         shares = shares.select("source", (F.col("w") / F.lit(float(whole))).alias("share"))
-    per_window = held.groupBy("window").agg(F.sum("held").alias("all"))
-    by_source = Window.partitionBy("source").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
-    before = held.join(per_window.withColumn("all_before", F.sum("all").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1))), "window")
+    per_window = totals_before(held.groupBy("window").agg(F.sum("held").alias("all")), [], "all").select("window", F.col("before").alias("all_before"))
+    before = totals_before(held, ["source"], "held").withColumnRenamed("before", "held_before").join(per_window, "window")
     state = (
-        before.withColumn("held_before", F.coalesce(F.sum("held").over(by_source), F.lit(0)))
-        .join(shares, "source")
-        .select(F.col("window").alias("win"), F.col("source").alias("src"), F.col("share").alias("share"), (F.col("share") * F.coalesce("all_before", F.lit(0)) - F.col("held_before")).alias("deficit"))
+        before.join(shares, "source")
+        .select(F.col("window").alias("win"), F.col("source").alias("src"), F.col("share").alias("share"), (F.col("share") * F.col("all_before") - F.col("held_before")).alias("deficit"))
     )
     n = int(min(windows, 4096))
     left, right = rows.repartition(n, "window").groupBy("window"), state.repartition(n, "win").groupBy("win")

@@ -58,3 +58,10 @@ def test_edges(spark):
     assert [(r.doc_id, r.tokens) for r in packing.pack_documents(docs, [(1, 512)]).collect()] == [(1, 2)]
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
     assert packing.pack_sized(spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "c", 5)], schema), [(1, 10)], weights=weights).count() == 3
+
+
+def test_prefix_sums_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 4)
+    data = [(w, s, w * 7 + len(s)) for w in range(21) for s in ("a", "bb") if (w + len(s)) % 5]
+    got = {(r.window, r.source): r.before for r in packing.totals_before(spark.createDataFrame(data, "window bigint, source string, held bigint"), ["source"], "held").collect()}
+    assert got == {(w, s): sum(v for x, t, v in data if t == s and x < w) for w, s, _ in data}
