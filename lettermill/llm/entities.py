@@ -2,9 +2,14 @@
 
 Merge-and-rematch. Every entry starts as a profile of its own tokens. Written
 names are compared with the profiles that share a block with them; names that
-fit exactly one profile merge into it, and what they call its tokens (short
-forms of given names, above all) joins the profile's spellings. The richer
-profiles enter blocking again with the names still open, until nothing merges.
+fit exactly one profile merge into it, and what they call its tokens, with the
+initials they add, joins the profile. Spellings that names with one word left
+open agree on join as well. The richer profiles enter blocking again with all
+names still unlinked, until a round adds nothing.
+
+A spelling keeps what it cost, and slips from it count on top, so that merges
+can't drift from the book. Hence a slip of a word that may have two is not kept:
+whatever it reaches is reached from the book's own form.
 
 Tokens compare equal, with up to two typing slips, as initials, as
 abbreviations, or as a learnt spelling. A name merges if all of its tokens fit
@@ -40,7 +45,6 @@ FORMS = frozenset("gmbh ag kg sa sarl sas ltd ltda limited inc incorporated llc
 BOOK_PART = 50_000
 #: Rows that a spelling needs before a profile takes it over, and the share of its open names it must explain.
 LEAST_SUPPORT, LEAST_SHARE = 2, 0.6
-MOST_ROUNDS = 8
 #: Learnt spellings and entries that the driver may hold; more is an error, never a cut.
 MOST_SPELLINGS, MOST_ENTRIES = 200_000, 2_000_000
 #: Letters of a word beyond which slips aren't looked for, and characters of a mailbox beyond which it has no name.
@@ -172,6 +176,20 @@ class Profile:
     person: bool
     parts: list[str]
     weak: set[int] = field(default_factory=set)  # positions that can't carry a match alone: middle names, branches
+    learnt: dict[str, dict[str, float]] = field(default_factory=dict)  # part to spellings of merged names and their cost
+    middle: set[str] = field(default_factory=set)  # middle initials of merged names
+
+    def take(self, part: str, text: str, cost: float) -> bool:
+        """Take over what a merged name calls a part, or a middle initial for ''; whether that is new."""
+        if not part:
+            new = text not in self.middle
+            self.middle.add(text)
+            return new
+        known = self.learnt.setdefault(part, {})
+        new = cost < known.get(text, 9.0)
+        if new:
+            known[text] = cost
+        return new
 
 
 def profiles_of(book: Iterable[tuple[int, str, str]]) -> list[Profile]:
@@ -200,7 +218,8 @@ class Matcher:
         for k, p in enumerate(profiles):
             for i, part in enumerate(p.parts):
                 if i not in p.weak:
-                    self.strong.setdefault(part, []).append(k)
+                    for form in {part, *p.learnt.get(part, ())}:
+                        self.strong.setdefault(form, []).append(k)
         self.block: dict[str, list[str]] = {}
         for part in self.strong:
             for form in {part, _plain_umlauts(part)}:
@@ -242,7 +261,7 @@ class Matcher:
             return 0.0
         if t.kind == "initial":
             return 0.5 if given and part[0] == text else None
-        if given and part in self.aliases.get(text, ()):
+        if (given or not person) and part in self.aliases.get(text, ()):
             return 0.3
         if t.kind == "short" and len(text) > 1 and part.startswith(text):
             return 0.3 if given or not person else None
@@ -259,10 +278,29 @@ class Matcher:
         n = slips(text, part)
         return None if n is None else float(n)
 
-    def fit(self, name: list[Token], p: Profile) -> tuple[float, Token | None] | None:
-        """(cost, token left open) of the best reading of a name as a profile, at most one word left open."""
+    def read(self, t: Token, p: Profile, i: int) -> float | None:
+        """Cost of reading a token as a profile's part in the book's or a learnt spelling; None if it can't be."""
+        given = p.person and (i == 0 or i in p.weak)
+        best = self.compare(t, p.parts[i], given, p.person)
+        for form, own in p.learnt.get(p.parts[i], {}).items():
+            if t.kind == "initial":
+                c = 0.5 if given and form[0] == t.text else None
+            elif t.kind == "initials" or given and (t.text in self.given or t.text in self.aliases) and t.text != form:
+                c = None
+            else:
+                n = slips(t.text, form)
+                c = None if n is None else own + n
+            if c is not None and (best is None or c < best):
+                best = c
+        return best
+
+    def fit(self, name: list[Token], p: Profile) -> tuple[float, Token | None, str, str] | None:
+        """(cost, token left open, part it would stand for, what a merge tells) of the best reading of a name as a profile.
+
+        At most one word is left open. What a merge tells is "part:spelling:cost" by blanks, ":letter:0" for a middle initial.
+        """
         left = set(range(len(p.parts)))
-        cost, slips, strong, given, spare = 0.0, 0.0, False, not p.person, None
+        cost, slips, strong, given, spare, told = 0.0, 0.0, False, not p.person, None, set()
         for t in sorted(name, key=lambda t: (t.kind != "word", -len(t.text))):
             if t.kind == "initials" and p.person:
                 inner = [i for i in sorted(left) if i in p.weak or i + 1 < len(p.parts)]
@@ -270,16 +308,27 @@ class Matcher:
                     left -= set(inner[: len(t.text)])
                     cost, given = cost + 0.5, True
                     continue
+                if 0 in left and t.text[0] == p.parts[0][0] and p.middle.issuperset(t.text[1:]):
+                    left.discard(0)
+                    cost, given = cost + 0.6, True
+                    continue
             best = None
             for i in left:
-                c = self.compare(t, p.parts[i], p.person and (i == 0 or i in p.weak), p.person)
+                c = self.read(t, p, i)
                 if c is not None and (best is None or (c, i) < best):
                     best = (c, i)
             if best is None:
                 if t.kind == "initial" and p.person:
-                    cost += 0.6  # a middle initial that the book doesn't have
+                    if t.text in p.middle:
+                        cost += 0.55  # a middle initial that merged names have
+                        continue
+                    cost += 0.6  # one that the book doesn't have
                     if len(p.weak) > 1 and any(i in p.weak and i for i in left):
                         return None
+                    told.add(f":{t.text}:0")
+                    continue
+                if t.kind == "word" and p.person and t.text[0] in p.middle and t.text not in self.strong:
+                    cost += 0.6  # the middle name of an initial that merged names have
                     continue
                 if spare is not None:
                     return None
@@ -287,6 +336,8 @@ class Matcher:
                 continue
             c, i = best
             left.discard(i)
+            if c and t.kind in ("word", "short") and (c < 1 or c == 1 and slips_allowed(len(p.parts[i])) < 2):
+                told.add(f"{p.parts[i]}:{t.text}:{c}")
             cost += c
             slips += c if c >= 1 else 0
             if i not in p.weak and c in (0.0, 1.0, 2.0) and t.kind in ("word", "short", "initials"):
@@ -296,19 +347,19 @@ class Matcher:
         if not strong or slips > 2:
             return None
         if spare is not None:
-            if given and p.person or not p.person:
-                return None
-            return cost + 5, spare
+            if p.person:
+                return None if given else (cost + 5, spare, p.parts[0], "")
+            return (cost + 5, spare, p.parts[min(left)], "") if len(left) == 1 and spare.kind == "word" else None
         if not given:
             return None
-        return cost + 0.01 * len(left), None
+        return cost + 0.01 * len(left), None, "", " ".join(sorted(told))
 
-    def match(self, name: str) -> list[tuple[float, int, str]]:
-        """(cost, entity, open token) of every profile that a name fits, best first."""
+    def match(self, name: str) -> list[tuple[float, int, str, str, str, str]]:
+        """(cost, entity, open token, part it would stand for, what a merge tells, display name) of every profile that a name fits, best first."""
         toks = tokens(name)
         if not toks or len(toks) > 12:
             return []
-        found: dict[int, tuple[float, int, str]] = {}
+        found: dict[int, tuple[float, int, str, str, str, str]] = {}
         for t in toks:
             if t.kind == "word" or len(t.text) > 2:
                 for part, _ in self.reach(t.text):
@@ -317,12 +368,12 @@ class Matcher:
                             p = self.profiles[k]
                             got = self.fit(toks, p)
                             if got is not None:
-                                found[k] = (got[0], p.entity_id, got[1].text if got[1] else "")
+                                found[k] = (got[0], p.entity_id, got[1].text if got[1] else "", got[2], got[3], p.name)
         return sorted(found.values())
 
 
 _NAMES = "seq bigint, field string, name string"
-_FITS = "name string, entity_id bigint, cost double, token string, given string, display string"
+_FITS = "name string, entity_id bigint, cost double, token string, given string, told string, display string"
 
 
 def written_names(rows: DataFrame, model: mojibake.Model, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -362,20 +413,18 @@ def written_names(rows: DataFrame, model: mojibake.Model, fields: tuple[str, ...
 def _fits(profiles: list[Profile], aliases: dict[str, dict[str, int]]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(profiles, aliases)
-        given = {p.entity_id: p.parts[0] for p in profiles}
-        display = {p.entity_id: p.name for p in profiles}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for name in batch.column("name").to_pylist():
                 got = matcher.match(name)
                 closed = [x for x in got if not x[2]]
                 # of the closed readings two tell whether the best is alone; of the open ones the best count
-                for cost, entity, token in closed[:2] if closed else [x for x in got if x[0] == got[0][0]]:
-                    same = _ANY in name and re.fullmatch(re.escape(name).replace(_ANY, ".{1,2}"), display[entity], re.I)
-                    for k, v in enumerate((name, entity, cost, token, given[entity], name if same else display[entity])):
+                for cost, entity, token, part, told, display in closed[:2] if closed else [x for x in got if x[0] == got[0][0]]:
+                    same = _ANY in name and re.fullmatch(re.escape(name).replace(_ANY, ".{1,2}"), display, re.I)
+                    for k, v in enumerate((name, entity, cost, token, part, told, name if same else display)):
                         out[k].append(v)
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["name", "entity_id", "cost", "token", "given", "display"])
+            kinds = (pa.string(), pa.int64(), pa.float64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["name", "entity_id", "cost", "token", "given", "told", "display"])
 
     return run
 
@@ -394,46 +443,63 @@ def _book_parts(book: DataFrame) -> list[list[Profile]]:
     return [made[k : k + BOOK_PART] for k in range(0, len(made), BOOK_PART)]
 
 
+def _enrich(parts: list[list[Profile]], merged: DataFrame) -> bool:
+    """Let the profiles take over what the names merged into them tell; whether any of it is new."""
+    told = merged.where("told <> ''").select("entity_id", F.explode(F.split("told", " ")).alias("told")).distinct().limit(MOST_SPELLINGS + 1).collect()
+    if len(told) > MOST_SPELLINGS:
+        raise ValueError("merged names tell more spellings than MOST_SPELLINGS")
+    by_entity: dict[int, list[tuple[str, str, float]]] = {}
+    for entity, one in told:
+        part, text, cost = one.split(":")
+        by_entity.setdefault(entity, []).append((part, text, float(cost)))
+    new = [p.take(*x) for profiles in parts for p in profiles for x in by_entity.get(p.entity_id, ()) if not x[0] or x[0] in p.parts]
+    return any(new)
+
+
 def linked_names(names: DataFrame, book: DataFrame) -> DataFrame:
     """(name, entity_id) of the written names that stand for one entry in another spelling.
 
-    ``names`` holds distinct names. Each round matches the names still open against the profiles as they are
-    now, then lets the profiles take over the spellings that the open names agree on.
+    ``names`` holds distinct names. Each round matches the names still unlinked against the profiles as they
+    are now, then lets the profiles take over what merged names tell and the spellings that open names agree on.
+    Every round but the last adds to the profiles, and what can be added is finite.
     """
     parts, aliases = _book_parts(book), {}
     if not parts:
         return names.select("name", F.lit(None).cast("bigint").alias("entity_id")).where("false")
     open_names, found = names, []
     counts = cut(names.mapInArrow(_token_batches, "token string").groupBy("token").agg(F.count("*").alias("n")))
-    for _ in range(MOST_ROUNDS):
+    given = {p.parts[0] for profiles in parts for p in profiles if p.person}
+    known = given | {x for profiles in parts for p in profiles if not p.person for x in p.parts}
+    while True:
         fits = None
         for profiles in parts:
             got = open_names.mapInArrow(_fits(profiles, aliases), _FITS)
             fits = got if fits is None else fits.unionByName(got)
         fits = cut(fits)
         closed = fits.where("token = ''")
-        least = closed.groupBy("name").agg(F.min("cost").alias("least"), F.min_by(F.struct("entity_id", "display"), "cost").alias("best"))
+        least = closed.groupBy("name").agg(F.min("cost").alias("least"), F.min_by(F.struct("entity_id", "display", "told"), "cost").alias("best"))
         alone = closed.join(least, "name").where("cost <= least + 1e-9").groupBy("name").agg(F.countDistinct("entity_id").alias("n"), F.first("best").alias("best")).where("n = 1")
-        found.append(cut(alone.select("name", "best.entity_id", "best.display")))
+        merged = cut(alone.select("name", "best.entity_id", "best.display", "best.told"))
+        found.append(merged.drop("told"))
         still = fits.where("token <> ''").join(closed.select("name").distinct(), "name", "left_anti")
         # a spelling stands for a given name if that name is open to it wherever it occurs, and it is no name of its own
-        by_given = still.select("name", "token", "given").distinct().groupBy("token", "given").agg(F.count("*").alias("k"))
+        by_given = still.groupBy("token", "given").agg(F.countDistinct("name").alias("k"), F.countDistinct("entity_id").alias("entities"))
         by_token = still.select("name", "token").distinct().groupBy("token").agg(F.count("*").alias("open"))
         # where several given names are as open to it, one that shares letters with the spelling counts more
         shared = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("token") - 2)), lambda i: F.contains("given", F.substr("token", i, F.lit(3)))) | F.startswith("given", F.substring("token", 1, 2))
         weighed = by_given.withColumn("w", F.col("k") * F.when(shared, 1.5).otherwise(1.0))
-        ranked = weighed.groupBy("token").agg(F.max(F.struct("w", "k", "given")).alias("top"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
+        ranked = weighed.groupBy("token").agg(F.max(F.struct("w", "k", "given", "entities")).alias("top"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
         next_best = F.when(F.size("ws") > 1, F.col("ws")[1]).otherwise(0.0)
         sure = ranked.join(by_token, "token").join(counts, "token").where((F.col("open") >= LEAST_SUPPORT) & (F.col("top.k") >= 0.8 * F.col("open")) & (F.col("open") >= LEAST_SHARE * F.col("n")) & (next_best <= 0.7 * F.col("top.w")))
-        known = {p.parts[0] for profiles in parts for p in profiles if p.person}
-        learnt = sure.select("token", "top.given", "top.k").limit(MOST_SPELLINGS + 1).collect()
+        learnt = sure.select("token", "top.given", "top.k", "top.entities").limit(MOST_SPELLINGS + 1).collect()
         if len(learnt) > MOST_SPELLINGS:
             raise ValueError("more spellings than MOST_SPELLINGS were learnt; raise LEAST_SUPPORT")
-        new = {r[0]: {r[1]: int(r[2])} for r in learnt if r[0] not in aliases and r[0] not in known}
-        if not new:
+        # a word of one organisation's name may be another organisation's, so two must agree on it
+        new = {r[0]: {r[1]: int(r[2])} for r in learnt if r[0] not in aliases and r[0] not in known and (r[1] in given or r[3] > 1)}
+        if not _enrich(parts, merged) and not new:
             break
         aliases = aliases | new
-        open_names = still.select("name").distinct()
+        open_names = cut(open_names.join(merged.select("name"), "name", "left_anti"))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)

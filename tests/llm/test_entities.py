@@ -57,3 +57,15 @@ def test_rows(spark):
     assert got == [(0, "from", 4), (1, "from", 4), (2, "from", 4), (10, "to", 1), (11, "to", 2), (12, "cc", 1)]
     assert E.linked_rows(df.limit(0), book).count() == 0
     assert E.linked_rows(df, book.limit(0)).count() == 0
+
+
+def test_merged_names_enrich_their_profiles(spark):
+    book = spark.createDataFrame([*BOOK, (9, "person", "William Tarnwick", None), (10, "person", "William Zorvald", None), (11, "organisation", "Kelvotek Informatique SA", None)], SCHEMA)
+    names = [
+        ("Octavia R. Sölmibrook", 2), ("OR Sölmibrook", 2), ("Octavia Regina Sölmibrook", 2),  # a middle initial, then what it opens
+        ("Richard T. Quindindela", 3), ("R. T. Quindindela", 3), ("R. Quindindela", None),  # it tells two namesakes apart, nothing else does
+        ("Billie Tarnwick", 9), ("Tarnwick, Billie", 9), ("Billie Zorvald", 10), ("B. Tarnwick", 9), ("Bilile Zorvald", 10),  # initial and slip of a short name
+        ("Umbronova Datentechnik", 7), ("Kelvotek Datentechnik", 11), ("Graviquist Engineering", None), ("GRAVIQUIST ENGINEERING Ltd", None),  # two organisations agree
+    ]
+    got = {r.name: r.entity_id for r in E.linked_names(spark.createDataFrame([(n,) for n, _ in names], "name string"), book).collect()}
+    assert got == {n: e for n, e in names if e}
