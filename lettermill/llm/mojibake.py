@@ -1,11 +1,12 @@
 """Text decoded with the wrong character encoding: find it and restore it (problem 1).
 
 Learning. Texts are reduced to templates (digits squashed) and grouped by
-skeleton, the template without non-ASCII characters. Within a skeleton the
-frequent templates are clean near-twins of the rarer ones. Aligning a rare one
-with its twins at the shared ASCII characters pairs runs of non-ASCII
-characters; a pair that one encoding read as another explains is evidence for
-that transformation. Transformations that explain enough pairs are learnt.
+skeleton, the template without non-ASCII characters, and by where in it their
+runs of non-ASCII characters stand. Every run is undone by every transformation;
+where the outcome stands in the same place of another template of the group, the
+pair is evidence for that transformation. So every pair is found by a join, and
+none by comparing templates with each other. Transformations that explain enough
+pairs are learnt.
 
 Applying. Every text with non-ASCII characters is decoded piece by piece with
 the learnt transformations. A piece is restored if that makes its characters
@@ -19,7 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,6 @@ LOST = "�"
 WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
 READ = ("latin_1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic")
 
-#: A template is a clean twin if at least this share of its skeleton's rows have it: twenty twins at most.
-TWIN_SHARE = 0.05
 #: Different run pairs that a transformation must explain, beyond those that better ones explain.
 LEAST_PAIRS = 2
 #: Size of the hashed trigram table, whatever the corpus.
@@ -50,6 +49,7 @@ LEAST_SEEN, LEAST_MEAN = 0.7, 0.5
 _PIECE = re.compile(r'[^ \t\r\n"|;,<>]+')
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"[0-9]+")
+_UNWRITTEN = re.compile(r"[^\x21-\x7e]+")
 _UNFIT = re.compile("[\x00-\x1f\x7f-\x9f\ue000-\uf8ff\ufffd]")
 _MIXED = re.compile("[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]")
 Chain = tuple[tuple[str, str], ...]
@@ -118,23 +118,21 @@ def runs(template: str) -> tuple[dict[int, str], int]:
     return out, at
 
 
-def align(rare: str, twin: str) -> list[tuple[str, str]]:
-    """(run, twin's run) at the same ASCII neighbours; none if the runs stand elsewhere."""
-    a, b = runs(rare)[0], runs(twin)[0]
-    if a.keys() != b.keys():
-        return []
-    return [(a[k], b[k]) for k in a if a[k] != b[k]]
+def origins(run: str) -> dict[str, list[int]]:
+    """What a run may have been before each chain: earlier form to chain numbers."""
+    return _origins(run) if len(run) <= 64 else _undo(run)
 
 
-@cache
-def _forms(clean: str) -> dict[str, list[int]]:
-    """What each chain makes of a clean run: garbled form to chain numbers."""
+def _undo(run: str) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     for k, chain in enumerate(all_chains()):
-        g = garble(clean, chain)
-        if g is not None and g != clean:
-            out.setdefault(g, []).append(k)
-    return out
+        c = restore(run, chain)
+        if c is not None and c != run and not c.isascii():
+            out.setdefault(c, []).append(k)
+    return {c: fit for c, ks in out.items() if (fit := [k for k in ks if garble(c, all_chains()[k]) == run])}
+
+
+_origins = lru_cache(20_000)(_undo)
 
 
 def _hash(gram: str) -> int:
@@ -284,17 +282,31 @@ def damaged_or_foreign(f: str) -> Column:
     return c.rlike(r"[^\x00-\x7f]") & ~c.contains(LOST)
 
 
-def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for template, n in zip(batch.column("template").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            found = runs(template)[0]
+            layout = " ".join(map(str, found))
+            for at, run in found.items():
+                out[0].append(f"{at} of {layout}")
+                out[1].append(run)
+                out[2].append(n)
+        skeletons = pa.array([_UNWRITTEN.sub("", t) for t in batch.column("template").to_pylist() for _ in runs(t)[0]], pa.string())
+        yield pa.RecordBatch.from_arrays([skeletons, pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["skeleton", "place", "run", "n"])
+
+
+def _undo_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rare, clean, number = [], [], []
-        for a, b in zip(batch.column("rare").to_pylist(), batch.column("twin").to_pylist(), strict=True):
-            for g, c in align(a, b):
-                if len(c) <= 64:
-                    for k in _forms(c).get(g, ()):
-                        rare.append(g)
-                        clean.append(c)
-                        number.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(rare, pa.string()), pa.array(clean, pa.string()), pa.array(number, pa.int64())], names=["g", "c", "chain"])
+        group, rare, count, run, chains = [], [], [], [], []
+        for key, g, n in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for c, fit in origins(g).items():
+                group.append(key)
+                rare.append(g)
+                count.append(n)
+                run.append(c)
+                chains.append(fit)
+        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(rare, pa.string()), pa.array(count, pa.int64()), pa.array(run, pa.string()), pa.array(chains, pa.list_(pa.int64()))], names=["key", "g", "g_n", "run", "chains"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +328,15 @@ def _bump(table: np.ndarray, grams: list[int], n: int) -> None:
 def learn(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> Model:
     """Transformations and trigrams of a corpus. The driver gets counts per chain and per hash value only."""
     templates = cut(units(rows, fields).groupBy("template").agg(F.count("*").alias("n")))
-    keyed = templates.withColumn("skeleton", F.regexp_replace("template", r"[^\x21-\x7e]+", ""))
-    twins = keyed.join(keyed.groupBy("skeleton").agg(F.sum("n").alias("all")), "skeleton").where(F.col("n") >= TWIN_SHARE * F.col("all")).select("skeleton", F.col("template").alias("twin"), F.col("n").alias("twin_n"))
-    pairs = keyed.join(twins, "skeleton").where("twin_n > n").select(F.col("template").alias("rare"), "twin")
-    evidence = pairs.mapInArrow(_explain, "g string, c string, chain bigint").distinct()
+    placed = templates.mapInArrow(_place_runs, "skeleton string, place string, run string, n bigint")
+    placed = cut(placed.groupBy(F.xxhash64("skeleton", "place").alias("key"), "run").agg(F.sum("n").alias("n")))
+    undone = placed.mapInArrow(_undo_runs, "key bigint, g string, g_n bigint, run string, chains array<bigint>")
+    # bytes that form valid UTF-8 tell the direction by themselves; else the rarer form is the damaged one
+    utf8 = F.array(*[F.lit(k).cast("bigint") for k, chain in enumerate(all_chains()) if chain[0][0] == "utf-8"])
+    fit = F.when(F.col("n") > F.col("g_n"), F.col("chains")).otherwise(F.array_intersect("chains", utf8))
+    # of the forms in its place that a run may come from, the most frequent one is clean; the others are damaged in other ways
+    pairs = undone.join(placed, ["key", "run"]).withColumn("chains", fit).where("size(chains) > 0").groupBy("key", "g").agg(F.max(F.struct("n", "run", "chains")).alias("best"))
+    evidence = pairs.select("g", F.col("best.run").alias("c"), F.explode("best.chains").alias("chain")).distinct()
     sets = evidence.groupBy("g", "c").agg(F.array_sort(F.collect_set("chain")).alias("chains")).groupBy("chains").agg(F.count("*").alias("n")).collect()
     grams = templates.mapInArrow(_count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(TABLE)

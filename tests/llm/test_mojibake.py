@@ -47,3 +47,13 @@ def test_part_of_a_list_and_lost_characters(spark):
 def test_edges(spark):
     assert M.damaged_values(frame(spark, [(None, None, None)]).limit(0)).count() == 0
     assert M.damaged_values(frame(spark, [(None, "", "plain"), ("é" * 50_000, None, None), ("x�", None, None), ("x�", None, None)])).count() == 2
+
+
+def test_texts_without_latin_letters_are_learnt_from(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("абвгдежиклмнопрстуфхцчшыэюя") for _ in range(rng.randint(4, 9)))
+    clean = [" ".join(word() for _ in range(12)).capitalize() for _ in range(60)]  # one group, no form above a 50th of it, runs of over 64 letters
+    bad = [M.garble(c, (("koi8_r", "cp1251"),)) for c in clean[:6]]
+    rows = [(c, None, None) for c in clean * 8] + [(b, None, None) for b in bad]
+    got = {r.seq: r.restored for r in M.damaged_values(frame(spark, rows)).collect()}
+    assert got == {len(clean) * 8 + k: clean[k] for k in range(6)}
