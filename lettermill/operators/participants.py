@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from email.message import Message
 from email.utils import getaddresses
 
 import pandas as pd
@@ -45,17 +44,15 @@ def participants(headers: list[Column]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[TX.addresses_in(h) for h in headers])))
 
 
-def message_addresses(message: Message) -> list[str]:
-    """Distinct participants of a parsed message; a header that can't be read is passed over."""
+def header_addresses(texts: dict[str, list[str]]) -> list[str]:
+    """Distinct participants in the values of a message's headers; a header that can't be read is passed over."""
     out: dict[str, None] = {}
     for name in PARTICIPANT_HEADERS:
         try:
-            for _, address in getaddresses([str(v) for v in message.get_all(name, [])]):
-                clean = address.strip().lower()
-                if "@" in clean:
-                    out[clean] = None
+            pairs = getaddresses(texts.get(name, []))
         except Exception:  # noqa: BLE001, S112
             continue
+        out.update(dict.fromkeys(a for _, address in pairs if "@" in (a := address.strip().lower())))
     return list(out)
 
 
@@ -80,9 +77,10 @@ def matching(messages: DataFrame, people: str, filters: DataFrame) -> DataFrame:
         return messages.withColumn("matched", F.lit(False))
     if len(few) <= FILTER_IN_TASK:
         return messages.withColumn("matched", F.coalesce(F.arrays_overlap(F.filter(people, lambda x: x.isNotNull()), F.lit(few)), F.lit(False)))
-    keyed = messages.withColumn("__m", F.monotonically_increasing_id())
-    hits = keyed.select("__m", F.explode(people).alias("address")).join(filters.select("address").distinct(), "address", "left_semi").select("__m").distinct().withColumn("__hit", F.lit(True))
-    return keyed.join(hits, "__m", "left").withColumn("matched", F.coalesce("__hit", F.lit(False))).drop("__m", "__hit")
+    # a message's own list is its key, so both sides agree whatever task makes them; equal lists match alike
+    lists = messages.select(F.col(people).alias("__people")).where(F.size("__people") > 0).distinct()
+    hits = lists.select("__people", F.explode("__people").alias("address")).join(filters.select("address").distinct(), "address", "left_semi").select("__people").distinct().withColumn("__hit", F.lit(True))
+    return messages.join(hits, F.col(people) == F.col("__people"), "left").withColumn("matched", F.coalesce("__hit", F.lit(False))).drop("__people", "__hit")
 
 
 def normalized(address: str | None) -> str | None:

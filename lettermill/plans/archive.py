@@ -296,7 +296,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cell(label: str, column: str | None) -> str:
     value = "''" if column is None else _escape_sql(f"coalesce({column}, '')")
-    return f"'<tr><th>{label}</th><td>' || {value} || '</td></tr>'"
+    return f"'{H.ENTRY[0]}{label}{H.ENTRY[1]}' || {value} || '{H.ENTRY[2]}'"
 
 
 def _escape_sql(value: str) -> str:
@@ -308,7 +308,7 @@ def _escape_sql(value: str) -> str:
 _CELLS = dict(zip(HEADER_LABELS, ("subject", '"from"', '"to"', "cc", "bcc", "date", "message_id", None, None), strict=True))
 
 
-@query("SELECT seq, '" + H.PAGE_HEAD + "' || " + " || ".join(_cell(k, c) for k, c in _CELLS.items()) + f" || '</table><pre>{H.NO_BODY}</pre></body></html>' AS page FROM manifest")
+@query(f"SELECT seq, '{H.PAGE_START}' || " + " || ".join(_cell(k, c) for k, c in _CELLS.items()) + f" || '{H.PAGE_MIDDLE}{H.NO_BODY}{H.PAGE_END}' AS page FROM manifest")
 def message_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = {"Subject": F.col("subject"), "From": F.col("`from`"), "To": F.col("`to`"), "Cc": F.col("cc"), "Bcc": F.col("bcc"), "Date": F.col("date"), "Message-ID": F.col("message_id")}
     return _manifest(spark, sf_dir).select("seq", H.message_page_column(heads, F.lit("")).alias("page"))
@@ -394,7 +394,7 @@ def header_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact participants of raw headers made from the manifest."""
     line = lambda name, c: F.concat(F.lit(f"{name}: "), TX.sanitize_header(F.col(f"`{c}`")), F.lit("\n"))
     raw = F.concat(line("From", "from"), line("To", "to"), line("Cc", "cc"), line("Bcc", "bcc"), F.lit("\n"))
-    got = messages.parse_content(_manifest(spark, sf_dir).select(F.col("seq").alias("key"), F.encode(raw, "UTF-8").alias("content")))
+    got = messages.parse_content(_manifest(spark, sf_dir).select(F.col("seq").alias("key"), F.encode(raw, "UTF-8").alias("content")), headers_only=True)
     return got.select(F.col("key").alias("seq"), "status", F.array_join(F.array_sort("participants"), ",").alias("people"))
 
 

@@ -20,11 +20,14 @@ from lettermill.operators import decide as D
 from lettermill.operators import manifest as M
 from lettermill.operators import ordering, participants, reconcile
 from lettermill.schema import FILTERED_ERROR, MANIFEST, SUMMARY_FIELDS
-from lettermill.session import cut, ship
+from lettermill.session import cut, ship, spread
 from lettermill.sinks import pdf
 from lettermill.sources import files, manifests, messages
 
 
+MANIFEST_DDL = ", ".join(f"`{f}` string" for f in MANIFEST.fieldNames())
+
+
 @dataclass(frozen=True)
 class Job:
     """One archive of a case and where its results go."""
@@ -100,28 +103,28 @@ def tasks(spark: SparkSession, job: Job) -> DataFrame:
 
 def _convert(job: Job, digest: str, mode: str, timeout: float, case_dir: str) -> Any:
     names = [*MANIFEST.fieldNames()]
+    schema = messages.arrow_schema(MANIFEST_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = {"source_pst_path": job.archive, "source_pst_sha256": digest}
         above = os.path.dirname(case_dir.rstrip("/"))
-        for batch in batches:
-            for eml, target, what in zip(*(batch.column(c).to_pylist() for c in ("eml_path", "pdf_path", "decision")), strict=True):
-                row = dict.fromkeys(names, "") | base | {"eml_path": eml, "pdf_path": target}
-                try:
-                    with messages.time_limit(timeout):
-                        with open(eml, "rb") as f:
-                            got = messages.parse_message(f.read(), with_body=what == "convert")
-                        heads = {k: got[k] for k in ("subject", "from", "to", "cc", "bcc", "date", "message_id")}
-                        if what == "convert":
-                            shown = os.path.relpath(eml, above) if eml.startswith(above + "/") else eml
-                            labels = dict(zip(pdf.HEADER_LABELS, [*heads.values(), shown, "; ".join(got["attachments"])], strict=True))
-                            pdf.render(mode, target, labels, got["body"])
-                    row |= heads | {"attachment_filenames": "|".join(got["attachments"]), "status": "ok"}
-                except messages.TooSlow:
-                    row |= {"status": "timeout", "error": f"timeout after {timeout:g} seconds"}
-                except Exception as e:  # noqa: BLE001
-                    row |= {"status": "error", "error": messages.failure(e)}
-                yield pa.RecordBatch.from_arrays([pa.array([row[k]], pa.string()) for k in names], names=names)
+
+        def convert_one(eml: str, target: str, what: str) -> dict[str, Any]:
+            got = messages.parse_message(files.read_bytes(eml), with_body=what == "convert")
+            heads = {k: got[k] for k in ("subject", "from", "to", "cc", "bcc", "date", "message_id")}
+            if what == "convert":
+                shown = os.path.relpath(eml, above) if eml.startswith(above + "/") else eml
+                labels = dict(zip(pdf.HEADER_LABELS, [*heads.values(), shown, "; ".join(got["attachments"])], strict=True))
+                pdf.render(mode, target, labels, got["body"])
+            return heads | {"attachment_filenames": "|".join(got["attachments"]), "status": "ok", "parse_error": ""}
+
+        def made() -> Iterator[dict[str, Any]]:
+            for batch in batches:
+                for eml, target, what in zip(*(batch.column(c).to_pylist() for c in ("eml_path", "pdf_path", "decision")), strict=True):
+                    row = messages.guarded(lambda eml=eml, target=target, what=what: convert_one(eml, target, what), timeout)
+                    yield dict.fromkeys(names, "") | base | {"eml_path": eml, "pdf_path": target} | row | {"error": row["parse_error"]}
+
+        yield from messages.in_batches(made(), schema)
 
     return run
 
@@ -153,7 +156,7 @@ def convert(spark: SparkSession, job: Job, case_dir: str, mode: str = "fast", ti
         planned = cut(again.select("msg_index", "eml_path", "pdf_path", "decision"))
     digest = files.sha256_file(job.archive) if os.path.exists(job.archive) else ""
     work = planned.where(F.col("decision").isin("convert", "recover")).select("eml_path", "pdf_path", "decision")
-    done = cut(work.mapInArrow(_convert(job, digest, mode, timeout, case_dir), MANIFEST))
+    done = cut(spread(work).mapInArrow(_convert(job, digest, mode, timeout, case_dir), MANIFEST_DDL))
     if active:
         out = planned.where("decision = 'filter'").select("eml_path").join(heads, "eml_path")
         columns = {c: F.col(f"`{c}`") for c in ("subject", "from", "to", "cc", "bcc", "date", "message_id")}

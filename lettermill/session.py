@@ -62,6 +62,21 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes a task should have at least before rows are left where they are.
+LEAST_TASK_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is too small to fill them by its own partitions, unchanged otherwise.
+
+    Costly work per row needs tasks, but rows of a large input are not moved for it: the planner's size
+    estimate decides, so what is shuffled is bounded by ``LEAST_TASK_BYTES`` per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * LEAST_TASK_BYTES else df
+
+
 _SHIPPED: set[str] = set()
 
 

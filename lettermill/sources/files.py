@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,16 @@ from lettermill.session import parallelism, ship
 LISTING = "path string, size_bytes bigint, modified_at timestamp"
 
 
+def read_bytes(path: str) -> bytes:
+    """The contents of a file, local or named by the URI of a file system that Arrow knows."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    system, place = pafs.FileSystem.from_uri(path)
+    with system.open_input_stream(place) as f:
+        return f.read()
+
+
 def _walk(root: str, suffix: str, recursive: bool) -> Iterator[tuple[str, int, float]]:
     stack = [root]
     while stack:

@@ -65,3 +65,14 @@ def test_html_column(spark):
     page = H.message_page({"Subject": "<&>", "From": "'q'"}, "")
     made = spark.range(1).select(H.message_page_column({"Subject": F.lit("<&>"), "From": F.lit("'q'")}, F.lit(None).cast("string"))).first()[0]
     assert made == page and H.NO_BODY in page and "&lt;&amp;&gt;" in page
+
+
+def test_html_scan_is_linear_and_hides_what_is_left_open():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 50_000, "</" * 50_000, "<!--" * 50_000, '<a b="' * 50_000, "<script>" * 50_000, "<a b='" * 50_000 + ">"):
+        H.html_text(page)
+    assert time.perf_counter() - began < 5
+    assert H.html_text("a<script>b</p>c") == "a" and H.html_text("a<!-- b <p>c") == "a"
+    assert H.html_text('<p title="a>b">x</p><div class=\'</p>\'>y') == "x\n\ny"
