@@ -101,11 +101,14 @@ def split_items(text: str | None, files: bool = False) -> list[str]:
         begin = start
         for k, at in enumerate(commas):
             nxt = commas[k + 1] if k + 1 < len(commas) else end
-            left = text[max(begin, at - 64) if files else begin : at]
             if files:
-                keep = not (_EXTENSION.search(s := left.rstrip(BLANKS)) or s.endswith('"') or not s)
+                last = at
+                while last > begin and text[last - 1] in BLANKS:
+                    last -= 1
+                tail = text[max(begin, last - 10) : last]  # an extension is no longer
+                keep = not (not tail or tail[-1] == '"' or _EXTENSION.search(tail))
             else:
-                keep = _comma_in_name(left, text[at + 1 : nxt])
+                keep = _comma_in_name(text[begin:at], text[at + 1 : nxt])
             if not keep:
                 spans.append((begin, at))
                 begin = at + 1
@@ -113,7 +116,7 @@ def split_items(text: str | None, files: bool = False) -> list[str]:
         commas.clear()
         start = end + 1
 
-    open_until, unclosed, colon = 0, set(), -1
+    open_until, unclosed, colon, shut = 0, set(), -1, {"<": -1, "(": -1}
     while m := _EVENT.search(text, i):
         at, c = m.start(), m.group()
         i = at + 1
@@ -128,8 +131,10 @@ def split_items(text: str | None, files: bool = False) -> list[str]:
         elif c == "\\":
             i = at + 2
         elif c in "<(":
-            if not files and c not in unclosed and len(brackets) < 8:
-                if text.find(">" if c == "<" else ")", i) >= 0:
+            if not files and c not in unclosed:
+                if shut[c] < i:
+                    shut[c] = text.find(">" if c == "<" else ")", i)
+                if shut[c] >= 0:
                     brackets.append(c)
                     depth += 1
                 else:

@@ -9,11 +9,6 @@ from lettermill.functions import text as TX
 from lettermill.schema import FILTERED_ERROR, MANIFEST_FIELDS, STATUSES
 
 
-def tidy(rows: DataFrame) -> DataFrame:
-    """Manifest columns with '' for null."""
-    return rows.select("seq", *[TX.blank_if_null(F.col(f"`{f}`")).alias(f) for f in MANIFEST_FIELDS])
-
-
 def status_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(by or []), TX.blank_if_null(F.col("status")).alias("status")).agg(F.count("*").alias("n_rows"))
 

@@ -3,9 +3,11 @@
 An identifier is 128 bits, two unsigned 64-bit words. A bijection permutes it;
 the high bits of the permuted word are the quotient, all other bits the
 remainder. The quotient picks the shard (top bits) and the slot in it (next
-bits), and a slot stores the complete remainder, so a lookup compares whole
-identifiers and never matches falsely. Probing is linear; the table doubles
-before it is half full. Every insert of a batch runs vectorised.
+bits). A slot stores both permuted words, of which the remainder is a part: the
+quotient bits are kept too, since linear probing moves an identifier away from
+its own slot. So a lookup compares whole identifiers and never matches falsely.
+The table doubles before it is half full, inserting its identifiers again.
+Every insert of a batch runs vectorised.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def permute(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class QuotientTable:
-    """Identifier to smallest value, exact; grows by moving one bit from remainder to quotient."""
+    """Identifier to smallest value, exact; growing takes one more bit for the slot."""
 
     def __init__(self, bits: int = 10, skip: int = 0) -> None:
         self.skip = skip  # leading quotient bits already used up by the choice of shard

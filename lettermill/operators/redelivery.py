@@ -24,6 +24,9 @@ from lettermill.session import cut, parallelism, ship
 #: is passed on early is merged in the next stage.
 FLUSH_AT = 1 << 20
 
+#: Identifiers of one shard, about. A shard's table and batches take some 100 bytes each, 400 MB in all.
+SHARD_ROWS = 1 << 22
+
 _LOCAL = "hi bigint, lo bigint, seq bigint, first bigint"
 _EDGE = "src bigint, dst bigint"
 
@@ -100,13 +103,13 @@ def _first_in_shard(skip: int) -> object:
 def pointers(keys: DataFrame) -> DataFrame:
     """(src, dst) from each row to the smallest row with its identifier, for (hi, lo, seq) rows."""
     ship(keys.sparkSession)
-    shards = 1 << max(0, (parallelism(keys.sparkSession) - 1).bit_length())
-    local = keys.mapInArrow(_first_local, _LOCAL)
-    local = cut(local)
+    local = cut(keys.mapInArrow(_first_local, _LOCAL))
+    needed = max(parallelism(keys.sparkSession), -(-local.where("first = seq").count() // SHARD_ROWS))
+    shards = 1 << (needed - 1).bit_length()
     within = local.where("first < seq").select(F.col("seq").alias("src"), F.col("first").alias("dst"))
-    bits = shards.bit_length() - 1
+    bits = shards.bit_length() - 1  # the leading bits of the quotient number the shards
     quotient = F.shiftrightunsigned("hi", 64 - bits) if bits else F.lit(0).cast("bigint")
-    across = local.where("first = seq").select("hi", "lo", "seq").repartition(shards, quotient).mapInArrow(_first_in_shard(bits), _EDGE)
+    across = local.where("first = seq").select("hi", "lo", "seq").repartitionById(shards, quotient.cast("int")).mapInArrow(_first_in_shard(bits), _EDGE)
     return within.unionByName(across)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,7 +22,7 @@ def read_bytes(path: str) -> bytes:
     if "://" not in path:
         with open(path, "rb") as f:
             return f.read()
-    system, place = pafs.FileSystem.from_uri(path)
+    system, place = pafs.FileSystem.from_uri(quote(path, safe="/:@?&=+,;~%"))
     with system.open_input_stream(place) as f:
         return f.read()
 

@@ -145,13 +145,19 @@ def test_both_policies_of_deduplication(spark):
 
 
 def test_intake(spark, case, tmp_path):
-    table, mark = str(tmp_path / "table"), str(tmp_path / "mark")
-    for n in (2, 3):
-        intake.start_intake(spark, f"{case}/output", table, mark).awaitTermination(60)
+    table, failing = str(tmp_path / "table"), 1
+    intake.take_in(spark, f"{case}/output", table, quiet=3600)
+    assert not os.path.exists(table)  # nothing has been quiet for an hour
+    write_message(f"{case}/output/ann/eml/bad.eml")
+    os.chmod(f"{case}/output/ann/eml/bad.eml", 0)
+    failing = int(os.geteuid() != 0)
+    for n in (4, 5):
+        intake.take_in(spark, f"{case}/output", table)
         got = spark.read.parquet(table)
-        assert got.count() == n and got.select("eml_path").distinct().count() == n
+        assert got.select("eml_path").distinct().count() == n and got.count() == got.select("seq").distinct().count() == n + failing * (n - 4)
         write_message(f"{case}/output/ann/eml/new/9.eml")
-    assert intake.new_only(got.select("eml_path"), got).count() == 0
+    assert any("_hidden" in r.eml_path for r in got.collect())
+    assert intake.new_only(got.select("eml_path"), got).count() == failing
 
 
 def test_pdf_of_odd_text(tmp_path):

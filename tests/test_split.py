@@ -67,3 +67,13 @@ def test_rows(spark):
     none = [(None, "to", 1, "a"), (None, "to", 2, "b"), (None, "attachment_filenames", 1, "x.pdf"), (None, "attachment_filenames", 2, "y, v2.pdf")]
     assert got == sorted(one * 2 + none, key=repr)
     assert split.found(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_depth_has_no_limit():
+    deep = "(" * 9 + "x" + ")" * 8 + " ; y)"
+    assert split_items(deep + "; b") == [deep, "b"]
+    assert len(split_items("(" * 100_000 + ")")) == 1
+
+
+def test_file_names_with_far_commas():
+    assert split_items("a.pdf" + " " * 100 + ", b.pdf", True) == ["a.pdf", "b.pdf"]
