@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,11 @@ BOOK_PART = 50_000
 LEAST_SUPPORT, LEAST_SHARE = 2, 0.6
 #: Learnt spellings and entries that the driver may hold; more is an error, never a cut.
 MOST_SPELLINGS, MOST_ENTRIES = 200_000, 2_000_000
-#: Letters of a word beyond which slips aren't looked for, and characters of a mailbox beyond which it has no name.
-LONGEST_WORD, LONGEST_MAILBOX = 30, 2000
+#: Letters of a word beyond which the blocks hold the two halves of its spelling instead of all deletions.
+LONGEST_WORD = 30
 
 _ADDRESS = re.compile(r"\s*<[^<>]*>\s*$", re.S)
+_SPACES = re.compile(r"\s+")
 _BARE = re.compile(r"^\S+@\S+$")
 _NOTE = re.compile(r"\s*\([^()]*\)\s*$")
 _DEPARTMENT = re.compile(r"\s+[-–—]\s+[^-–—]*$", re.S)
@@ -65,8 +67,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 def written_name(item: str) -> str:
     """The name of a mailbox as written, without the address and without quotes around it."""
-    if len(item) > LONGEST_MAILBOX:
-        return ""
+    if len(item) > 500:
+        item = _SPACES.sub(" ", item)  # the patterns below would look at a long run of blanks from each of its places
     name = _ADDRESS.sub("", item).strip()
     if len(name) > 1 and name[0] == name[-1] == '"':
         name = name[1:-1].replace('""', '"').strip()
@@ -92,8 +94,8 @@ class Token:
 
 def tokens(name: str) -> list[Token]:
     """Tokens of a written name in order, without titles, legal forms, notes and departments."""
-    if len(name) > LONGEST_MAILBOX:
-        return []
+    if len(name) > 500:
+        name = _SPACES.sub(" ", name)
     name = _DEPARTMENT.sub("", _NOTE.sub("", name))
     name = _FORM.sub(lambda m: m.group().lower(), _DOTTED.sub(lambda m: _squeeze(m.group()), name))
     spaced = " " in name.strip()
@@ -128,27 +130,58 @@ def distance(a: str, b: str, most: int) -> int:
     """Typing slips between two words (a swap of neighbours is one), or ``most`` + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    two, one = [], list(range(len(b) + 1))
+    far = most + 1
+    two, one = [], [min(j, far) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
+        row = [far] * (len(b) + 1)
+        if i <= most:
+            row[0] = i
+        # only the band that few slips can reach
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
             d = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, two[j - 2] + 1)
             row[j] = d
         if min(row) > most:
-            return most + 1
+            return far
         two, one = one, row
-    return one[-1] if one[-1] <= most else most + 1
+    return min(one[-1], far)
 
 
 def slips_allowed(length: int) -> int:
-    """Short words must be exact, and so must words longer than any name."""
-    return 0 if length < 4 or length > LONGEST_WORD else 1 if length < 6 else 2
+    """Short words must be exact."""
+    return 0 if length < 4 else 1 if length < 6 else 2
 
 
 def deletions(word: str, most: int) -> set[str]:
-    """The word and what is left of it after up to ``most`` deletions: two words within reach share one."""
+    """Keys of a word: two words within ``most`` slips share one.
+
+    Of a word of usual length they are the word and what is left of it after up to ``most`` deletions. The
+    deletions of a longer one grow with the square of its length, so its keys are those of ``_pieces``.
+    """
+    if len(word) > LONGEST_WORD - 2:
+        return _pieces(word, most) if len(word) > LONGEST_WORD else _pieces(word, most) | _deletions(word, most)
+    return _deletions(word, most)
+
+
+def _pieces(word: str, most: int) -> set[str]:
+    """Marked pieces of a long word, one of which ``most`` slips leave whole.
+
+    A word is cut into 2 ``most`` + 1 pieces, since a swap may touch two; pieces of a partner, whose length
+    differs by up to ``most`` and whose letters moved as far, are found at every cut of every such length.
+    """
+    out, parts = set(), 2 * most + 1
+    for length in range(len(word) - most, len(word) + most + 1):
+        for k in range(parts):
+            begin, end = k * length // parts, (k + 1) * length // parts
+            for shift in range(-most, most + 1):
+                if begin + shift >= 0:
+                    out.add(f"{length}/{k}/{word[begin + shift : end + shift]}")
+    return out
+
+
+def _deletions(word: str, most: int) -> set[str]:
     out = {word}
     for k in range(1, most + 1):
         if len(word) > k:
@@ -211,9 +244,9 @@ def profiles_of(book: Iterable[tuple[int, str, str]]) -> list[Profile]:
 class Matcher:
     """Profiles, their spellings and the blocks by which names find them."""
 
-    def __init__(self, profiles: list[Profile], aliases: dict[str, dict[str, int]] | None = None) -> None:
+    def __init__(self, profiles: list[Profile], aliases: dict[str, dict[str, int]] | None = None, given: frozenset[str] | None = None) -> None:
         self.profiles, self.aliases = profiles, aliases or {}
-        self.given = {p.parts[0] for p in profiles if p.person}
+        self.given = given if given is not None else {p.parts[0] for p in profiles if p.person}
         self.strong: dict[str, list[int]] = {}
         for k, p in enumerate(profiles):
             for i, part in enumerate(p.parts):
@@ -357,7 +390,7 @@ class Matcher:
     def match(self, name: str) -> list[tuple[float, int, str, str, str, str]]:
         """(cost, entity, open token, part it would stand for, what a merge tells, display name) of every profile that a name fits, best first."""
         toks = tokens(name)
-        if not toks or len(toks) > 12:
+        if not toks:
             return []
         found: dict[int, tuple[float, int, str, str, str, str]] = {}
         for t in toks:
@@ -410,16 +443,18 @@ def written_names(rows: DataFrame, model: mojibake.Model, fields: tuple[str, ...
     return rows.where("seq is not null").select(F.col("seq").cast("long").alias("seq"), *[F.col(f"`{f}`") for f in fields]).mapInArrow(run, _NAMES)
 
 
-def _fits(profiles: list[Profile], aliases: dict[str, dict[str, int]]) -> object:
+def _fits(shared: Broadcast[list[list[Profile]]], place: int, aliases: dict[str, dict[str, int]]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(profiles, aliases)
+        given = frozenset(p.parts[0] for profiles in shared.value for p in profiles if p.person)  # of the whole book
+        matcher = Matcher(shared.value[place], aliases, given)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for name in batch.column("name").to_pylist():
                 got = matcher.match(name)
                 closed = [x for x in got if not x[2]]
-                # of the closed readings two tell whether the best is alone; of the open ones the best count
-                for cost, entity, token, part, told, display in closed[:2] if closed else [x for x in got if x[0] == got[0][0]]:
+                # of the closed readings the best and the next entity's tell whether it is alone; of the open ones the best count
+                other = [x for x in closed if x[1] != closed[0][1]][:1]
+                for cost, entity, token, part, told, display in closed[:1] + other if closed else [x for x in got if x[0] == got[0][0]]:
                     same = _ANY in name and re.fullmatch(re.escape(name).replace(_ANY, ".{1,2}"), display, re.I)
                     for k, v in enumerate((name, entity, cost, token, part, told, name if same else display)):
                         out[k].append(v)
@@ -472,8 +507,9 @@ def linked_names(names: DataFrame, book: DataFrame) -> DataFrame:
     known = given | {x for profiles in parts for p in profiles if not p.person for x in p.parts}
     while True:
         fits = None
-        for profiles in parts:
-            got = open_names.mapInArrow(_fits(profiles, aliases), _FITS)
+        book_now = names.sparkSession.sparkContext.broadcast(parts)
+        for part in range(len(parts)):
+            got = open_names.mapInArrow(_fits(book_now, part, aliases), _FITS)
             fits = got if fits is None else fits.unionByName(got)
         fits = cut(fits)
         closed = fits.where("token = ''")
@@ -511,8 +547,8 @@ def linked_rows(rows: DataFrame, book: DataFrame, model: mojibake.Model | None =
 
     A spelling counts as another if it differs in more than letter case and enclosing quotes; damage in the
     sense of the wrong encoding or look-alike letters is repaired first. Names that fit two entries equally
-    well are linked to neither; addresses decide nothing. Null, empty and address-only items have no name, nor
-    have mailboxes of more than 2000 characters; words of more than 30 letters must be spelt exactly.
+    well are linked to neither; addresses decide nothing. Null, empty and address-only items have no name; names
+    and words may be of any length.
     Repeated rows give one row; an empty table or book gives none; other columns are ignored.
     """
     ship(rows.sparkSession)

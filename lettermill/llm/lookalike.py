@@ -61,10 +61,14 @@ def script(c: str) -> str:
     return ""
 
 
+# Signs with a meaning of their own that only compatibility makes letters: micro and ohm.
+SIGNS = "\u00b5\u2126"
+
+
 @lru_cache(maxsize=None)
 def plain(c: str) -> str:
     """The ordinary form of one character: itself unless it is a presentation form or a blank."""
-    if c == " " or c == "Ω":
+    if c == " " or c in SIGNS:
         return c
     kind = unicodedata.category(c)
     if kind == "Zs" or c in "  ⠀":
@@ -156,9 +160,9 @@ def comparison_key(text: str) -> str:
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", canonical(text)).casefold())
 
 
-#: What a value must hold to be looked at in Python: characters outside ASCII and the composed letters of
-#: Western languages, plus those of them that only fill or hide.
-SUSPECT = r"[\x{00a0}\x{00ad}]|[^\x00-\x{024f}]"
+#: What a value must hold to be looked at in Python: of the composed letters of Western languages only those
+#: that ``canonical`` changes, and any character beyond them.
+SUSPECT = "[" + "".join(f"\\x{{{n:04x}}}" for n in range(0x80, 0x250) if canonical(chr(n)) != chr(n)) + r"]|[^\x00-\x{024f}]"
 
 
 def imitations(rows: DataFrame, fields: tuple[str, ...] = FIELDS, model: mojibake.Model | None = None) -> DataFrame:

@@ -23,6 +23,8 @@ from lettermill.session import cut, ship
 #: Tokens that one window holds, about. Every window ends with one container that may stay part empty.
 WINDOW_TOKENS = 1 << 22
 MOST_CAPACITIES = 1000
+#: Windows that one packing task takes, one after the other, however many there are.
+WINDOWS_A_TASK = 4
 #: Windows that one task of the prefix sums takes.
 STRETCH = 4096
 
@@ -164,7 +166,7 @@ def pack_sized(sized: DataFrame, capacities: list[tuple[int, int]], window_token
         before.join(shares, "source")
         .select(F.col("window").alias("win"), F.col("source").alias("src"), F.col("share").alias("share"), (F.col("share") * F.col("all_before") - F.col("held_before")).alias("deficit"))
     )
-    n = int(min(windows, 4096))
+    n = -(-windows // WINDOWS_A_TASK)
     left, right = rows.repartition(n, "window").groupBy("window"), state.repartition(n, "win").groupBy("win")
     return left.cogroup(right).applyInArrow(_pack_group(capacities), SCHEMA)
 

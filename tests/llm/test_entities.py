@@ -40,6 +40,29 @@ def test_deletions_find_what_distance_allows(a, b):
     assert E.distance(b, a, 2) == n
 
 
+@given(st.text("ab", min_size=27, max_size=40), st.lists(st.tuples(st.integers(0, 26), st.sampled_from("+-~x")), max_size=2))
+def test_long_words_share_a_key_too(word, changes):
+    typed = word
+    for at, kind in changes:
+        typed = {"+": typed[:at] + "c" + typed[at:], "-": typed[:at] + typed[at + 1 :], "~": typed[:at] + typed[at + 1 : at + 2] + typed[at : at + 1] + typed[at + 2 :], "x": typed[:at] + "c" + typed[at + 1 :]}[kind]
+    assert E.distance(word, typed, 2) > 2 or E.deletions(word, 2) & E.deletions(typed, 2)
+
+
+def test_names_of_any_length_match():
+    m = E.Matcher(E.profiles_of([b[:3] for b in BOOK] + [(12, "organisation", " ".join(f"Wort{c}lang" for c in "abcdefghijklm")), (13, "person", "Otto " + "Kraxenbichl" * 4)]))
+    assert [x[1] for x in m.match(" ".join(f"wort{c}lang" for c in "abcdefghijklm"))] == [12]
+    assert [x[1] for x in m.match("Otto " + "Kraxenbichl" * 3 + "Kraxnebichl")] == [13]
+    assert E.written_name("Phelibrook, T." + " " * 5000 + "<t@x.io>") == "Phelibrook, T."
+
+
+def test_parts_of_the_book_change_nothing(spark, monkeypatch):
+    book = spark.createDataFrame([(1, "person", "Maria Keller", None), (2, "person", "Mario Kellner", None), (2, "person", "Mario Kellnerson", None)], SCHEMA)
+    names = spark.createDataFrame([("Mario Keller",), ("M. Kellner",)], "name string")
+    whole = sorted(map(tuple, E.linked_names(names, book).collect()))
+    monkeypatch.setattr(E, "BOOK_PART", 1)
+    assert sorted(map(tuple, E.linked_names(names, book).collect())) == whole == [("M. Kellner", 2), ("Mario Keller", 2)]
+
+
 def test_rows(spark):
     book = spark.createDataFrame(BOOK, SCHEMA)
     kate = ["Kate Yervindela", "Yervindela, Kate", "Kate Yervindella"]

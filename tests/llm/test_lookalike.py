@@ -43,3 +43,12 @@ def test_rows(spark):
     got = sorted(((r.seq or 0, r.field, r.canonical) for r in L.imitations(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == [(0, "subject", "X" * 60_000), (1, "subject", "Projekt"), (1, "subject", "Projekt"), (2, "from", "Ann")]
     assert L.imitations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_signs_stay_and_compatibility_letters_go():
+    import re
+
+    assert L.canonical("10 \u00b5F \u2013\u00a0x") == "10 \u00b5F \u2013 x" and L.canonical("10 \u00b5F") == "10 \u00b5F"
+    suspect = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m.group(1), 16)), L.SUSPECT))
+    for n in range(0x80, 0x250):
+        assert bool(suspect.search(chr(n))) == (L.canonical(chr(n)) != chr(n))
