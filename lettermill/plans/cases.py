@@ -77,6 +77,8 @@ def wait_until_stable(spark: SparkSession, root: str, quiet: float = 10, every:
     """Wait until a tree's count, bytes and latest change stay the same for ``quiet`` seconds; 0 doesn't wait."""
     if quiet < 0 or every <= 0 or most < 0:
         raise ValueError("waiting times must be positive")
+    if 0 < most < quiet:
+        raise ValueError("the longest wait must not be shorter than the quiet time")
 
     def snapshot() -> tuple[int, int, Any]:
         rows = list(files._walk(root, ".eml", True)) if os.path.isdir(root) else []
@@ -200,7 +202,7 @@ def repair(spark: SparkSession, case_dir: str, slugs: list[str] | None = None, a
     return results
 
 
-def run_case(spark: SparkSession, case_dir: str, mode: str = "fast", timeout: float = 60, force_extract: bool = False, validate_only: bool = False, dry_run: bool = False, quiet: float = 10, filter_emails: list[str] | None = None, force_filter: bool = False) -> int:
+def run_case(spark: SparkSession, case_dir: str, mode: str = "fast", timeout: float = 60, force_extract: bool = False, validate_only: bool = False, dry_run: bool = False, quiet: float = 10, filter_emails: list[str] | None = None, force_filter: bool = False, every: float = 2, most: float = 600) -> int:
     """Extract, convert and validate a case; 0 if consistent, 1 if not."""
     case_dir = os.path.abspath(os.path.expanduser(case_dir))
     began = time.monotonic()
@@ -215,7 +217,7 @@ def run_case(spark: SparkSession, case_dir: str, mode: str = "fast", timeout: fl
     if not dry_run and not validate_only:
         for job in jobs:
             extract(job, force_extract)
-            wait_until_stable(spark, job.eml_dir, quiet)
+            wait_until_stable(spark, job.eml_dir, quiet, every, most)
             convert(spark, job, case_dir, mode, timeout, filters)
     total = validate(spark, jobs).agg(*[F.coalesce(F.sum(f), F.lit(0)).cast("bigint").alias(f) for f in SUMMARY_FIELDS]).withColumn("bad", reconcile.has_consistency_errors()).first()
     print(case_report(case_dir, len(jobs), total.asDict(), time.monotonic() - began))

@@ -12,19 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "lettermill", cores: str = "*") -> SparkSession.Builder:
-    """A local session builder with the settings the tests and the bench rely on."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-    )
+    """A session builder with the settings the operators rely on.
+
+    A program that spark-submit started keeps the master, memory and shuffle width given to it; only one
+    started by itself gets a local session.
+    """
+    made = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        return made
+    return made.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

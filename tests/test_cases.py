@@ -165,3 +165,22 @@ def test_pdf_of_odd_text(tmp_path):
     pdf.render("fast", path, {"To": "a@x, " * 500, "Subject": "(\\) 日本\r\n\tx"}, "line\n" * 400 + "w" * 5000)
     raw = open(path, "rb").read()
     assert raw.startswith(b"%PDF-1.4") and raw.rstrip().endswith(b"%%EOF") and raw.count(b"/Type /Page ") > 5
+
+
+def test_convert_command(spark, case, tmp_path, monkeypatch):
+    root = f"{case}/output/ann"
+    argv = ["convert", "--source-pst", f"{case}/input/ann@x.io.pst", "--eml-dir", f"{root}/eml", "--pdf-dir", f"{root}/pdf", "--manifest", f"{root}/manifest/ann.csv", "--log-file", str(tmp_path / "logs" / "c.log"), "--eml-stability-seconds", "0"]
+    assert cli.main([*argv, "--filter-email", "eve@x.io"]) == 0
+    assert sorted(r["status"] for r in rows(f"{root}/manifest/ann.csv")) == ["filtered", "filtered", "ok"]
+    assert cli.main([*argv, "--resume"]) == 1  # the message of an unknown charset fails
+    log = open(tmp_path / "logs" / "c.log").read()
+    assert "start archive=" in log and "not converted: 1" in log and "Hello" not in log
+    with pytest.raises(FileExistsError):
+        cli.main(argv)
+    for bad in (["--filter-email", "@"], ["--workers", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main([*argv, *bad])
+    with pytest.raises(ValueError):
+        cases.wait_until_stable(spark, root, quiet=5, most=1)
+    monkeypatch.setattr(cli, "_convert", lambda _: (_ for _ in ()).throw(KeyboardInterrupt))
+    assert cli.main(argv) == 130
